@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from .lang_id import op4_language_id
+from .quality import op3_quality
+from .toxicity import op1_toxicity
+
+ALL = (op1_toxicity, op3_quality, op4_language_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_language_id,)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
