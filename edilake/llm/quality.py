@@ -156,6 +156,8 @@ def fit(texts: list[str], target: np.ndarray, steps: int = 200) -> tuple[np.ndar
     if not base:
         return w.astype(np.float32), b
     R, C, V = map(np.concatenate, (R, C, V))
+    pair, inv = np.unique(R.astype(np.int64) * size + C, return_inverse=True)
+    R, C, V = pair // size, pair % size, np.bincount(inv, V)
     m1, v1, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, steps + 1):
         z = np.bincount(R, w[C] * V, base) + b
