@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from .gif import op8_media_gif
 from .lang_id import op4_language_id
+from .packing import op6_best_fit_packing
 from .quality import op3_quality
 from .simple8b import op2_token_ids
 from .toxicity import op1_toxicity
 
-ALL = (op1_toxicity, op2_token_ids, op3_quality, op4_language_id, op8_media_gif)
+ALL = (op1_toxicity, op2_token_ids, op3_quality, op4_language_id, op6_best_fit_packing, op8_media_gif)
 
 
 def queries() -> dict:
