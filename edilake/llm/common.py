@@ -175,20 +175,33 @@ def fold(doc_id) -> "np.ndarray":
     return np.array([zlib.crc32(str(i).encode()) % 3 for i in doc_id], np.int64)
 
 
-def maybe_in(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """Rows whose key may be among the ids (one column): a filter before a join, to shuffle less.
+def _marked(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """rows with maybe_: whether the key may be among the ids (one column).
 
     The ids set bits of a bitmap of 2**23 by hash: 256 rows of 4 kB at most,
-    however many ids, so it may be broadcast. Rows it lets through wrongly are
-    left to the join; rows without a key go.
+    however many ids, so it may be broadcast. It errs only by saying maybe.
     """
     from pyspark.sql import functions as F
 
     place = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 23))
-    name = ids.columns[0]
-    own = F.pmod(F.xxhash64(F.col(name)), F.lit(1 << 23))
+    own = F.pmod(F.xxhash64(F.col(ids.columns[0])), F.lit(1 << 23))
     maps = ids.groupBy(F.shiftright(own, 15).alias("bucket_")).agg(F.bitmap_construct_agg(own.bitwiseAND(F.lit(32_767))).alias("map_"))
     at = place.bitwiseAND(F.lit(32_767)).cast("int")
     byte = F.conv(F.hex(F.expr("substring(map_, at_ div 8 + 1, 1)")), 16, 10).cast("int")
-    found = rows.where(F.col(key).isNotNull()).withColumns({"bucket_": F.shiftright(place, 15), "at_": at}).join(F.broadcast(maps), "bucket_")
-    return found.where((F.expr("1") == F.call_function("shiftright", byte, F.col("at_") % 8).bitwiseAND(F.lit(1)))).select(*rows.columns)
+    found = rows.withColumns({"bucket_": F.shiftright(place, 15), "at_": at}).join(F.broadcast(maps), "bucket_", "left")
+    bit = F.call_function("shiftright", byte, F.col("at_") % 8).bitwiseAND(F.lit(1))
+    return found.select(*rows.columns, (F.col(key).isNotNull() & F.coalesce(bit == 1, F.lit(False))).alias("maybe_"))
+
+
+def maybe_in(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows whose key may be among the ids: a filter before a join, to shuffle less."""
+    return _marked(rows, key, ids).where("maybe_").drop("maybe_")
+
+
+def without(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows whose key is not among the ids; only rows that may be are shuffled for it."""
+    marked = _marked(rows, key, ids)
+    name = ids.columns[0]
+    doubtful = marked.where("maybe_").drop("maybe_")
+    other = ids.withColumnRenamed(name, "key_")
+    return marked.where("not maybe_").drop("maybe_").union(doubtful.join(other, doubtful[key] == other.key_, "left_anti"))

@@ -6,12 +6,14 @@ from .gif import op8_media_gif
 from .jaccard import op5_ngram_jaccard
 from .lang_id import op4_language_id
 from .line_dedup import op7_line_dedup
+from .mixing import op10_source_mixing
+from .mixing import oracle as _mixing_sql
 from .packing import op6_best_fit_packing
 from .quality import op3_quality
 from .simple8b import op2_token_ids
 from .toxicity import op1_toxicity
 
-ALL = (op1_toxicity, op2_token_ids, op3_quality, op4_language_id, op5_ngram_jaccard, op6_best_fit_packing, op7_line_dedup, op8_media_gif)
+ALL = (op1_toxicity, op2_token_ids, op3_quality, op4_language_id, op5_ngram_jaccard, op6_best_fit_packing, op7_line_dedup, op8_media_gif, op10_source_mixing)
 
 
 def queries() -> dict:
@@ -19,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_source_mixing": _mixing_sql()}
