@@ -201,6 +201,20 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     return out.withColumnRenamed("id", doc_id)
 
 
+def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose language is not ``und``."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.tables))
+    place = docs.columns.index(text)
+
+    def run(batches):
+        own = Model(*shared.value)
+        for b in batches:
+            keep = [x != "und" for s in slabs(b.column(place)) for x in own.score(s)[0]]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
 
