@@ -11,9 +11,11 @@ from .mixing import oracle as _mixing_sql
 from .packing import op6_best_fit_packing
 from .quality import op3_quality
 from .simple8b import op2_token_ids
+from .topk import ORACLE as _topk_sql
+from .topk import op9_exact_topk
 from .toxicity import op1_toxicity
 
-ALL = (op1_toxicity, op2_token_ids, op3_quality, op4_language_id, op5_ngram_jaccard, op6_best_fit_packing, op7_line_dedup, op8_media_gif, op10_source_mixing)
+ALL = (op1_toxicity, op2_token_ids, op3_quality, op4_language_id, op5_ngram_jaccard, op6_best_fit_packing, op7_line_dedup, op8_media_gif, op9_exact_topk, op10_source_mixing)
 
 
 def queries() -> dict:
@@ -21,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_source_mixing": _mixing_sql()}
+    return {"op10_source_mixing": _mixing_sql(), "op9_exact_topk": _topk_sql}
