@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import cut, slabs, table
-from .tokens import END_ID, Encoder
+from .tokens import END_ID, encoder
 
 CAPACITY = 4096
 NODES = 2_000
@@ -234,7 +234,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, d
     names = ["id", "piece", "start", "length", "ids_crc32", "part", "rank"]
 
     def run(batches):
-        enc = Encoder(path)
+        enc = encoder(path)
         part = TaskContext.get().partitionId()
         met = np.zeros(capacity + 1, np.int64)
         for b in batches:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, slabs, table
-from .tokens import END_ID, Encoder
+from .tokens import END_ID, encoder
 
 BLOCK = 128
 CONTAINER_IDS = 1 << 18
@@ -154,7 +154,7 @@ def containers(docs: DataFrame, path: str | None = None, parts: int | None = Non
     ordered = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).where("id is not null").repartitionByRange(parts, "id").sortWithinPartitions("id")
 
     def run(batches):
-        enc = Encoder(path)
+        enc = encoder(path)
         shard = TaskContext.get().partitionId()
         number, who, sizes, parts_, held = 0, [], [], [], 0
 

@@ -22,10 +22,11 @@ def test_ids_equal_the_library(enc):
     rnd = random.Random(3)
     alphabet = "abcDEF ' \t\n.,!?0129éÉßñ́ ‍日<|>"
     texts = HARD + ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(80))) for _ in range(600)]
-    (slab,) = slabs(pa.array(texts))
-    ids, offs = enc.encode(slab)
-    for k, t in enumerate(texts):
-        assert ids[offs[k] : offs[k + 1]].tolist() == enc.tok.encode(t, add_special_tokens=False).ids + [1], repr(t)
+    for own in (texts, [t for t in texts if "<|" not in t]):
+        (slab,) = slabs(pa.array(own))
+        ids, offs = enc.encode(slab)
+        for k, t in enumerate(own):
+            assert ids[offs[k] : offs[k + 1]].tolist() == enc.tok.encode(t, add_special_tokens=False).ids + [1], repr(t)
 
 
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 5000])
