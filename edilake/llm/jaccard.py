@@ -37,12 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Slab, cut, drop_cut, lower, mix, slabs, table, words
+from .common import Slab, cut, lower, maybe_in, mix, slabs, table, words
 from .components import components
 
 WORDS, PERCENT = 5, 75
 #: Frequent tokens put last in the order: so many at most. More or fewer change the cost, never the result.
-HOT_TOKENS = 1 << 17
+HOT_TOKENS = 1 << 19
+#: A task counts so many tokens at a time, and reports those it met so often.
+SEEN_TOKENS, OFTEN = 6_000_000, 3
 #: A posting scanned costs so many subsets emitted.
 SCAN_COST = 4.0
 LARGEST_LIGHT = 64
@@ -89,25 +91,35 @@ def _floor(n, percent: int):
 
 
 def profile(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
-    """kind 0: (doc_id, set size, signature) of each row; kind 1: (token, rows in a slab with it) of tokens met often."""
+    """kind 0: (doc_id, set size, signature) of each row; kind 1: (token, rows with it) of tokens a task met often."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
+        held: list[np.ndarray] = []
+        size = 0
+
+        def often(like):
+            seen = np.sort(np.concatenate(held))
+            at = np.flatnonzero(np.concatenate(([True], seen[1:] != seen[:-1])))
+            count = np.diff(np.concatenate((at, [len(seen)])))
+            at, count = at[count >= OFTEN], count[count >= OFTEN]
+            m = len(at)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, like), pa.array(count), pa.array(seen[at].view(np.int64))], ["kind", "id", "n", "token"])
+
         for b in batches:
-            for s in slabs(b.column(1), 8 << 20):
+            for s in slabs(b.column(1)):
                 sets = shingle_sets(s, n)
                 rows = len(sets)
-                out = pa.RecordBatch.from_arrays(
+                yield pa.RecordBatch.from_arrays(
                     [pa.array(np.zeros(rows, np.int32)), b.column(0).slice(s.lo, rows), pa.array([len(x) for x in sets], pa.int64()), pa.array([_signature(x) for x in sets], pa.int64())], ["kind", "id", "n", "token"]
                 )
-                yield out
-                seen = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
-                at = np.flatnonzero(np.concatenate(([True], seen[1:] != seen[:-1]))) if len(seen) else np.zeros(0, np.int64)
-                count = np.diff(np.concatenate((at, [len(seen)])))
-                often = count >= 4
-                if often.any():
-                    m = int(often.sum())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, b.column(0).type), pa.array(count[often]), pa.array(seen[at[often]].view(np.int64))], ["kind", "id", "n", "token"])
+                held += sets
+                size += sum(map(len, sets))
+                if size > SEEN_TOKENS:
+                    yield often(b.column(0).type)
+                    held, size = [], 0
+        if size:
+            yield often(b.column(0).type)
 
     return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"kind int, id {kind}, n long, token long")
 
@@ -208,8 +220,15 @@ def lists(docs: DataFrame, text: str, n: int, percent: int, light: int, hot: tup
         size, rest = rec["n"].astype(np.int64), rec["n"].astype(np.int64) - rec["pos"]
         wide = int(size.max()) + 1 if len(rec) else 1
         least = _floor(size, percent)
+        # A list's pivot is its member of least hash, so that lists with much the same members have much the same pivot;
+        # members of other sizes take the first of a size they go with.
         pivot = np.searchsorted(number * wide + size, number * wide + least)
-        i = np.flatnonzero(pivot < np.arange(len(rec)))
+        if len(rec):
+            order = np.lexsort((mix(np.ascontiguousarray(rec["node"]).view(np.uint64)), number))
+            lead = order[np.searchsorted(number[order], number)]
+            fits = np.minimum(size, size[lead]) * 100 >= percent * np.maximum(size, size[lead])
+            pivot = np.where(fits, lead, pivot)
+        i = np.flatnonzero(pivot != np.arange(len(rec)))
         j = pivot[i]
         ok = np.minimum(rest[i], rest[j]) * (100 + percent) >= percent * (size[i] + size[j])
         a, b = rec["node"][j[ok]], rec["node"][i[ok]]
@@ -242,6 +261,7 @@ def lists(docs: DataFrame, text: str, n: int, percent: int, light: int, hot: tup
 
 def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """(u, v): the representatives of pairs (a, b) of signatures whose sets are similar, compared exactly."""
+    texts = maybe_in(texts, "sig", pairs.select(F.explode(F.array("a", "b")).alias("sig")))
     left = pairs.join(texts.select(F.col("sig").alias("b"), F.col("rep").alias("v"), F.col("t").alias("tv")), "b")
     both = left.join(texts.select(F.col("sig").alias("a"), F.col("rep").alias("u"), F.col("t").alias("tu")), "a").select("u", "v", "tu", "tv")
 
@@ -274,10 +294,10 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, doc_id: str =
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     known = cut(profile(docs, doc_id, text, n), "profile")
     rows = known.where("kind = 0").select("id", "n", F.col("token").alias("sig"))
-    often = known.where("kind = 1").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(HOT_TOKENS).collect()
-    tokens = np.array([r[0] for r in often], np.int64).view(np.uint64)
+    often = known.where("kind = 1").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(HOT_TOKENS).toArrow()
+    tokens = often.column(0).to_numpy().view(np.uint64)
     order = np.argsort(tokens)
-    hot = tokens[order], np.array([r[1] for r in often], np.int64)[order]
+    hot = tokens[order], often.column(1).to_numpy()[order]
     # One row for each set size: as many as the longest text has words, at most.
     sizes = {r.n: r.m for r in rows.where("n > 0").groupBy("n").agg(F.count_distinct("sig").alias("m")).collect()}
     light = boundary(sizes, percent)
@@ -290,7 +310,8 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, doc_id: str =
     involved = links.select(F.col("a").alias("sig")).union(links.select("b")).union(runs.select(F.explode("nodes"))).distinct()
     first = cut(rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep")), "first")
     wanted = cut(first.join(involved, "sig"), "wanted")
-    texts = cut(wanted.join(docs.select(F.col(doc_id).alias("rep"), F.col(text).alias("t")).where("t is not null").dropDuplicates(["rep"]) if _repeats(rows) else docs.select(F.col(doc_id).alias("rep"), F.col(text).alias("t")).where("t is not null"), "rep").select("sig", "rep", "t"), "texts")
+    whole = maybe_in(docs.select(F.col(doc_id).alias("rep"), F.col(text).alias("t")).where("t is not null"), "rep", wanted.select("rep"))
+    texts = cut(wanted.join(whole.dropDuplicates(["rep"]) if _repeats(rows) else whole, "rep").select("sig", "rep", "t"), "texts")
     edges = cut(verify(links, texts, n, percent), "edges")
     label = components(edges)
     at = cut(wanted.join(label, wanted.rep == label.node, "left").select("sig", "rep", F.coalesce("component", "rep").alias("c")), "label")
