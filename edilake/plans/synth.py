@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-T = F.lit("~\n")
+END = "~\n"
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,7 @@ def _control(k: Column) -> Column:
 
 def _wrap(kind: str, k: Column, body: Column, count: Column, hour: str) -> Column:
     """A document around the segments from BHT or BPR on; count is theirs."""
+    T = F.lit(END)
     code = {"837": "HC", "835": "HP", "834": "BE", "271": "HB"}[kind]
     blank = " " * 10
     isa = F.concat(F.lit(f"ISA*00*{blank}*00*{blank}*ZZ*{'SENDERID':<15}*ZZ*{'RECEIVERID':<15}*260601*{hour}*^*00501*"), _control(k), F.lit("*0*T*:"))
@@ -73,6 +74,7 @@ def _total(items: Column, field: str) -> Column:
 
 
 def claims_837(spark: SparkSession, sf_dir: str) -> DataFrame:
+    T = F.lit(END)
     o = _orders(spark, sf_dir).withColumn("own", F.filter("ls", lambda x: x["submitted"]))
     k, c, s = F.col("k"), F.col("c").cast("string"), F.lit
     head = F.concat(
@@ -84,6 +86,7 @@ def claims_837(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def remittances_835(spark: SparkSession, sf_dir: str) -> DataFrame:
+    T = F.lit(END)
     o = _orders(spark, sf_dir).withColumn("own", F.filter("ls", lambda x: x["remitted"])).where(F.size("own") > 0)
     k, c, s = F.col("k"), F.col("c").cast("string"), F.lit
     own = F.col("own")
@@ -98,6 +101,7 @@ def remittances_835(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enrolments_834(spark: SparkSession, sf_dir: str) -> DataFrame:
+    T = F.lit(END)
     cu = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"))
     k, s = F.col("k"), F.lit
     body = F.concat(
@@ -108,6 +112,7 @@ def enrolments_834(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def responses_271(spark: SparkSession, sf_dir: str) -> DataFrame:
+    T = F.lit(END)
     cu = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"))
     k, s = F.col("k"), F.lit
     each = _joined(F.sequence(s(0).cast("long"), k.cast("long") % 3), lambda i: F.concat(s("EB*1*IND*"), i + 30, s("*HM*PLAN"), F.col("n"), T, s("DTP*346*D8*202601"), F.lpad((i + 1).cast("string"), 2, "0"), T))
