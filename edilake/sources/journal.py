@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-SCHEMA = T.StructType.fromDDL(
+SCHEMA = (
     "segment_id string, seq bigint, event_id string, event_type string, source_file string, source_transaction string, input_ordinal int, source_drop_id string, run_id string, "
     "source_segment_index bigint, source_byte_offset bigint, isa13 string, gs06 string, st02 string, payload map<string,string>, arrays map<string,array<string>>"
 )
@@ -22,7 +21,7 @@ def write(events: DataFrame, path: str, append: bool = False, arrival_date: str
 
 def read(spark: SparkSession, path: str, arrival_date: str | None = None) -> DataFrame:
     """Reads a journal or the part that arrived on a date (partitions are pruned); an empty one is an error."""
-    rows = spark.read.schema(T.StructType([*SCHEMA.fields, T.StructField("arrival_date", T.StringType())])).parquet(path)
+    rows = spark.read.schema(f"{SCHEMA}, arrival_date string").parquet(path)
     if rows.limit(1).isEmpty():
         raise FileNotFoundError(f"no events in {path}")
     return rows if arrival_date is None else rows.where(F.col("arrival_date") == arrival_date)
