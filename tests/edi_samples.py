@@ -11,7 +11,7 @@ def doc(kind: str, ctl: int, *segments: str, count: int | None = None, st02: str
 
 CLAIM = doc(
     "837", 11, "BHT*0019*00*A*20260601*1200*CH", "HL*1**20*1", "PRV*BI*PXC*TAX1", "NM1*85*2*CLINIC*****XX*P1", "HL*2*1*22*0", "SBR*P*18*GRP1******CI", "NM1*IL*1*DOE*JO****MI*M1", "DMG*D8*19800101*F",
-    "CLM*C1*300.00***11:B:1*Y*A*Y*I", "REF*D9*R1", "HI*ABK:I639*ABF:R42", "NM1*82*1*ROE*AL****XX*P2", "PRV*PE*PXC*TAX2", "LX*1", "SV1*HC:11111:25:59*100.00*UN*1***1:2", "DTP*472*D8*20260601", "LX*2", "SV1*HC:22222*200.00*UN*2", "DTP*472*D8*20260602",
+    "CLM*C1*300.00***11:B:1*Y*A*Y*I", "REF*D9*R1", "HI*ABK:I639*ABF:R42", "NM1*82*1*ROE*AL****XX*P2", "PRV*PE*PXC*TAX2", "LX*11", "SV1*HC:11111:25:59*100.00*UN*1***1:2", "DTP*472*D8*20260601", "LX*12", "SV1*HC:22222*200.00*UN*2", "DTP*472*D8*20260602",
 )
 PAYMENT = doc(
     "835", 12, "BPR*I*180.00*C*ACH************20260605", "TRN*1*E1*15", "N1*PR*PLAN*XV*PAY1", "CLP*C1*1*300.00*180.00*20.00*12*PC1*11*1", "NM1*QC*1*DOE*JO****MI*PT1",
