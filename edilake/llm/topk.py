@@ -40,9 +40,10 @@ class Index:
         self.low, self.high = x.min(0), x.max(0)
         self.order = np.argsort(x, axis=0, kind="stable").T.copy()
         n, dims = x.shape
+        self.values = np.take_along_axis(x.T, self.order, 1)  # ascending, as order has the ids
         self.cuts = []
         for d in range(dims):
-            v = x[self.order[d], d]
+            v = self.values[d]
             edges = self.low[d] + (self.high[d] - self.low[d]) * np.arange(1, LEVELS) // LEVELS
             inner = np.searchsorted(v, edges, "right")
             self.cuts.append(np.unique(np.concatenate(([0], inner, [n]))))
@@ -53,7 +54,7 @@ class Index:
         steps = []  # (impact, dimension, from, to, bound of the dimension's next segment)
         for d in np.flatnonzero(q):
             cuts, w = self.cuts[d], abs(int(q[d]))
-            v = x[self.order[d], d]
+            v = self.values[d]
             if q[d] > 0:
                 bounds = v[cuts[1:] - 1] - self.low[d]  # a segment's largest shifted value
                 spans = list(zip(cuts[:-1], cuts[1:], bounds))[::-1]
@@ -76,7 +77,8 @@ class Index:
         live = np.arange(n)
         for i, (_, d, lo, hi, after) in enumerate(steps):
             ids = self.order[d, lo:hi]
-            score[ids] += abs(int(q[d])) * (x[ids, d] - self.low[d] if q[d] > 0 else self.high[d] - x[ids, d])
+            v = self.values[d, lo:hi]
+            score[ids] += int(q[d]) * (v - (self.low[d] if q[d] > 0 else self.high[d]))
             open_ += after - now[d]
             now[d] = after
             if (i + 1) % check == 0:
