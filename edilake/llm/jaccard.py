@@ -17,7 +17,7 @@ emitted and scanned for the heavy.
 Lists are not expanded into pairs. First each member of a list is verified
 against the list's first set of compatible size; the links found give
 components. Then lists with members in several components link one drawn
-member to those of other components, and what is still mixed has all its pairs
+member, the same in all lists that have it, to those of other components, and what is still mixed has all its pairs
 between different components verified. Pairs inside a component need no test,
 so the components are exact. Sets that are equal are one node throughout.
 
@@ -315,9 +315,9 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, doc_id: str =
     edges = cut(verify(links, texts, n, percent), "edges")
     label = components(edges)
     at = cut(wanted.join(label, wanted.rep == label.node, "left").select("sig", "rep", F.coalesce("component", "rep").alias("c")), "label")
-    for last in (False, True):
+    for turn, last in enumerate((False, False, True)):
         placed = members.join(at.select("sig", "c"), "sig")
-        mixed = cut(placed.groupBy("run").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min_by(F.struct("sig", "n", "rest", "c"), F.xxhash64("sig", "run")).alias("pivot")).where("c0 <> c1").select("run", "pivot"), "mixed")
+        mixed = cut(placed.groupBy("run").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min_by(F.struct("sig", "n", "rest", "c"), F.xxhash64("sig", F.lit(turn))).alias("pivot")).where("c0 <> c1").select("run", "pivot"), "mixed")
         left = placed.join(mixed, "run")
         similar = "least({0}rest, {1}rest) * (100 + {2}) >= {2} * ({0}n + {1}n) and 100 * least({0}n, {1}n) >= {2} * greatest({0}n, {1}n)"
         if not last:
