@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLAB_BYTES = 4 << 20
 
@@ -33,9 +34,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or an own one where it is unset."""
+    """The folder all machines share, spark.checkpoint.dir; an own one only where all tasks run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="corpus-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found}/corpus-{spark.sparkContext.applicationId}"
@@ -175,33 +178,40 @@ def fold(doc_id) -> "np.ndarray":
     return np.array([zlib.crc32(str(i).encode()) % 3 for i in doc_id], np.int64)
 
 
-def _marked(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """rows with maybe_: whether the key may be among the ids (one column).
+def free(name: str, columns: list[str]) -> str:
+    """name, with underscores until no column is called so."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def marked_in(rows: DataFrame, key: str, ids: DataFrame, mark: str) -> DataFrame:
+    """rows with the new column mark: whether the key may be among the ids (one column).
 
     The ids set bits of a bitmap of 2**23 by hash: 256 rows of 4 kB at most,
     however many ids, so it may be broadcast. It errs only by saying maybe.
     """
-    from pyspark.sql import functions as F
 
-    place = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 23))
     own = F.pmod(F.xxhash64(F.col(ids.columns[0])), F.lit(1 << 23))
-    maps = ids.groupBy(F.shiftright(own, 15).alias("bucket_")).agg(F.bitmap_construct_agg(own.bitwiseAND(F.lit(32_767))).alias("map_"))
-    at = place.bitwiseAND(F.lit(32_767)).cast("int")
-    byte = F.conv(F.hex(F.expr("substring(map_, at_ div 8 + 1, 1)")), 16, 10).cast("int")
-    found = rows.withColumns({"bucket_": F.shiftright(place, 15), "at_": at}).join(F.broadcast(maps), "bucket_", "left")
-    bit = F.call_function("shiftright", byte, F.col("at_") % 8).bitwiseAND(F.lit(1))
-    return found.select(*rows.columns, (F.col(key).isNotNull() & F.coalesce(bit == 1, F.lit(False))).alias("maybe_"))
+    maps = ids.groupBy(F.shiftright(own, 15).alias("in_bucket_")).agg(F.bitmap_construct_agg(own.bitwiseAND(F.lit(32_767))).alias("in_map_"))
+    found = rows.withColumn("in_place_", F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 23)))
+    found = found.join(F.broadcast(maps), F.shiftright("in_place_", 15) == F.col("in_bucket_"), "left")
+    at = F.col("in_place_").bitwiseAND(F.lit(32_767)).cast("int")
+    byte = F.conv(F.hex(F.substring("in_map_", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, at % 8).bitwiseAND(F.lit(1))
+    return found.select(*rows.columns, (F.col(key).isNotNull() & F.coalesce(bit == 1, F.lit(False))).alias(mark))
 
 
 def maybe_in(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """Rows whose key may be among the ids: a filter before a join, to shuffle less."""
-    return _marked(rows, key, ids).where("maybe_").drop("maybe_")
+    mark = free("maybe_", rows.columns)
+    return marked_in(rows, key, ids, mark).where(F.col(mark)).drop(mark)
 
 
 def without(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """Rows whose key is not among the ids; only rows that may be are shuffled for it."""
-    marked = _marked(rows, key, ids)
-    name = ids.columns[0]
-    doubtful = marked.where("maybe_").drop("maybe_")
-    other = ids.withColumnRenamed(name, "key_")
-    return marked.where("not maybe_").drop("maybe_").union(doubtful.join(other, doubtful[key] == other.key_, "left_anti"))
+    mark, other = free("maybe_", rows.columns), free("key_", rows.columns)
+    marked = marked_in(rows, key, ids, mark)
+    doubtful = marked.where(F.col(mark)).drop(mark)
+    gone = ids.select(F.col(ids.columns[0]).alias(other))
+    return marked.where(~F.col(mark)).drop(mark).union(doubtful.join(gone, F.col(key) == F.col(other), "left_anti"))
