@@ -13,7 +13,7 @@ def _least(pairs: DataFrame) -> DataFrame:
     return cut(pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "least")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node in the edges (u, v): component is the least node reachable.
 
     Self-loops, repeated and reversed edges are fine; no edges give no rows.
@@ -22,7 +22,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    while True:  # each round at least halves the longest way to a root, up to a constant
         # Large star: larger neighbours point at the least one.
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = _least(both)
@@ -40,7 +40,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if mark == before:
             break
         before = mark
-    else:
-        raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return cut(now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots), "components")

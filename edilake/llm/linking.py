@@ -71,8 +71,8 @@ def link(members: DataFrame, attributes: list[str], fits: Callable[[str, str], C
             turn = lambda x, y: F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y))
             pairs = pairs.select(turn("a", "b").alias("a"), turn("b", "a").alias("b"), turn("ca", "cb").alias("ca"), turn("cb", "ca").alias("cb")).distinct()
         pairs = cut(pairs, "pairs")
-        links = cut(test(pairs).select(F.col("ca").alias("u"), F.col("cb").alias("v")), "links")
-        grown = None if links.isEmpty() else components(links)
+        links = None if pairs.isEmpty() else cut(test(pairs).select(F.col("ca").alias("u"), F.col("cb").alias("v")), "links")
+        grown = None if links is None or links.isEmpty() else components(links)
         left = now.join(spans.select("key", F.col("p.node").alias("first")), "key")
         if step >= WIDEN:
             gone = picked.select("key", F.col("p.node").alias("node"))

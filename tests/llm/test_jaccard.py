@@ -66,6 +66,30 @@ def test_empty_and_repeated_rows(spark):
     assert jaccard.join(df.limit(0)).count() == 0
 
 
+def test_salted_lists_very_long_texts_and_ids_with_two_texts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT_ROWS", 3)
+    rows = make(3)
+    long = " ".join(f"x{k % 9000} y{k}" for k in range(40_000))
+    rows += [(5_000, long), (5_001, long + " end"), (5_002, long.replace("x7 ", "z "))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "2 as of", "3 as t").repartition(3)
+    assert sorted(tuple(r) for r in jaccard.join(df).collect()) == brute(rows)
+    twice = [(7, "a b c d e f g h"), (7, "p q r s t u v w"), (3, "a b c d e f g h"), (9, "p q r s t u v w"), (None, "p q r s t u v w")]
+    got = sorted((tuple(r) for r in jaccard.join(spark.createDataFrame(twice, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(7, 4, 3), (7, 4, 7), (3, 4, 3), (9, 4, 7), (None, 4, 7)], key=str)
+
+
+def test_bitmaps_never_refuse_similar_sets():
+    import numpy as np
+
+    rnd = np.random.default_rng(8)
+    for size in (1, 5, 70, 900):
+        for _ in range(50):
+            a = np.unique(rnd.integers(0, 2**63, size).astype(np.uint64))
+            b = np.unique(np.concatenate((a[rnd.random(len(a)) < 0.8], rnd.integers(0, 2**63, rnd.integers(0, 4 * size)).astype(np.uint64))))
+            apart = len(np.setxor1d(a, b))
+            assert jaccard._differ(jaccard._bitmap(a), jaccard._bitmap(b)) <= apart
+
+
 def test_light_prefixes_lose_no_pair():
     rnd = random.Random(4)
     import numpy as np
@@ -83,8 +107,8 @@ def test_light_prefixes_lose_no_pair():
         if 100 * o >= 75 * (len(x) + len(y) - o) and len(x) != o:
             for light in (0, 12, 30):
                 hot = np.array([3, 5, 9], np.uint64), np.array([7, 2, 7])
-                kx = jaccard._postings(x, 1, light, 75, *hot)[0]
-                ky = jaccard._postings(y, 2, light, 75, *hot)[0]
+                kx = jaccard._postings(x, light, 75, *hot)[0]
+                ky = jaccard._postings(y, light, 75, *hot)[0]
                 assert set(kx.tolist()) & set(ky.tolist())
 
 
