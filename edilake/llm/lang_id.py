@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import NON_LETTER, Slab, lower, mix, slabs, table, words
 
@@ -166,17 +167,19 @@ def _factor(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> Model:
-    """Fits a model on at most ``rows`` rows of (text, lang), picked by a hash of the text."""
-    sample = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
-    got = sample.withColumn("h", F.xxhash64("t")).orderBy("h", "l").limit(rows).drop("h")
+    """Fits a model on at most ``rows`` different texts, by a hash of the text, of each language as many as of the others while it has more."""
+    sample = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null").withColumn("h", F.xxhash64("t"))
+    # Hashes first, so that no text is moved that isn't learnt from.
+    place = F.row_number().over(W.partitionBy("l").orderBy("h"))
+    picked = sample.select("l", "h").distinct().withColumn("r", place).where(F.col("r") <= rows).orderBy("r", "l").limit(rows).select("l", "h")
+    small = labelled.sparkSession.createDataFrame(picked.collect(), "l string, h long")  # rows at most
+    got = sample.withColumn("l", F.col("l").cast("string")).join(F.broadcast(small), ["l", "h"]).groupBy("l", "h").agg(F.min("t").alias("t")).select("t", "l")
 
     def fit(batches):
         import pickle
 
-        data = [b for b in batches if b.num_rows]
-        texts = [x for b in data for x in b.column(0).to_pylist()]
-        langs = [x for b in data for x in b.column(1).to_pylist()]
-        m = Model.fit(texts, langs)
+        data = sorted((l, t) for b in batches for t, l in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        m = Model.fit([t for _, t in data], [l for l, _ in data])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((m.langs, m.tables))], pa.binary())], ["model"])
 
     import pickle

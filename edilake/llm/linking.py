@@ -9,8 +9,8 @@ the same one and their pairs fall together.
 
 In the first pass each member is tested against one pivot only, the least of
 all its buckets, which makes as many pairs as there are members at most and
-joins nearly all that belong together. From pass WIDEN on, buckets draw more
-members at once, FASTER times as many in each pass.
+joins nearly all that belong together. Later passes draw more members of a bucket
+at once, FASTER times as many in each.
 
 Every step is a table in the shared folder: lost executors cost one step.
 """
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import cut, drop_cut
 from .components import components
 
-#: The pass from which buckets draw several pivots, and how many times as many in each later pass.
-WIDEN, FASTER = 2, 4
+#: From the second pass on, a bucket draws about so many pivots, and so many times as many in each later one.
+FASTER = 16
 
 
 def _relabel(rows: DataFrame, grown: DataFrame) -> DataFrame:
@@ -54,11 +54,11 @@ def link(members: DataFrame, attributes: list[str], fits: Callable[[str, str], C
             drop_cut(spans)
             break
         picked = None
-        if step < WIDEN:
+        if step == 0:
             of = now.join(spans.select("key", "p"), "key")
         else:
             # Some more of each bucket, by the hash of the draw; the least always is one.
-            every = F.greatest(F.lit(1), F.col("m") / FASTER ** (step - WIDEN + 1))
+            every = F.greatest(F.lit(1), F.col("m") / FASTER**step)
             near = now.join(spans.select("key", "m", F.col("p.node").alias("first")), "key")
             more = near.where((F.col("node") == F.col("first")) | (F.pmod(draw, F.lit(1 << 20)) < F.lit(1 << 20) / every))
             picked = cut(more.select("key", F.struct(*own, "c").alias("p")), "picked")
@@ -73,14 +73,10 @@ def link(members: DataFrame, attributes: list[str], fits: Callable[[str, str], C
         pairs = cut(pairs, "pairs")
         links = None if pairs.isEmpty() else cut(test(pairs).select(F.col("ca").alias("u"), F.col("cb").alias("v")), "links")
         grown = None if links is None or links.isEmpty() else components(links)
-        left = now.join(spans.select("key", F.col("p.node").alias("first")), "key")
-        if step >= WIDEN:
+        left = now.join(spans.select("key"), "key")
+        if step:
             gone = picked.select("key", F.col("p.node").alias("node"))
-            left = left.drop("first").join(gone, ["key", "node"], "left_anti")
-        elif step:
-            left = left.where(F.col("node") != F.col("first")).drop("first")
-        else:
-            left = left.drop("first")
+            left = left.join(gone, ["key", "node"], "left_anti")
         left = left.select("key", *own, "c")
         after = cut(left if grown is None else _relabel(left, grown), "members")
         if grown is not None and at is None:

@@ -17,22 +17,19 @@ each leaf.
 Defined cases: a null or empty text has 0 tokens; nulls in a level are a child
 named ``und``; children without a weight have weight 1, those of weight 0 get
 nothing while siblings can take it, and nothing after; a leaf without tokens is
-taken once; repeated rows are taken alike; an empty table gives none; other
-columns stay.
+taken once; rows that repeat an id are all taken or none, where they end a
+budget; an empty table gives none; other columns stay, and the epoch's column
+gets underscores until its name is free.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, table
+from .common import cut, free, table
 
-#: The leaves are held on the driver and broadcast; a tree with more is refused.
-MAX_LEAVES = 20_000
 SEED = 17
 LEVELS = ("domain", "language", "origin")
 #: The query's target: weights by level, the budget as a share of all tokens, and how often a text may come.
@@ -40,44 +37,36 @@ WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "language": {"en": 5,
 MAX_EPOCHS = 2
 
 
-def share(budget: int, children: list[tuple[str, int, int]]) -> dict[str, int]:
-    """Each child's part of the budget, from (name, weight, capacity)."""
-    out = {name: 0 for name, _, _ in children}
-    left, live = budget, [c for c in children if c[1] > 0]
-    live.sort(key=lambda c: (c[2] / c[1], c[0]))
-    weight = sum(c[1] for c in live)
-    while live and live[0][2] * weight <= left * live[0][1]:
-        name, w, capacity = live.pop(0)
-        out[name] = capacity
-        left, weight = left - capacity, weight - w
-    for name, w, _ in live:
-        out[name] = left * w // weight
-    return out
-
-
-def budgets(leaves: dict[tuple, int], budget: int, weights: dict, levels=LEVELS, max_epochs: int = MAX_EPOCHS) -> dict[tuple, int]:
-    """Tokens to take of each leaf, from the tokens it has."""
-    capacity: dict[tuple, int] = defaultdict(int)
-    below: dict[tuple, set] = defaultdict(set)
-    for leaf, tokens in leaves.items():
-        for k in range(len(leaf) + 1):
-            capacity[leaf[:k]] += tokens * max_epochs
-            if k:
-                below[leaf[: k - 1]].add(leaf[:k])
-    out: dict[tuple, int] = {}
-
-    def down(node: tuple, amount: int) -> None:
-        if len(node) == len(levels):
-            out[node] = amount
-            return
-        own = weights.get(levels[len(node)], {})
-        got = share(amount, [(c[-1], own.get(c[-1], 1), capacity[c]) for c in sorted(below[node])])
-        for c in sorted(below[node]):
-            down(c, got[c[-1]])
-
-    if leaves:
-        down((), min(budget, capacity[()]))
-    return out
+def budgets(leaves: DataFrame, budget: float | int, weights: dict, names: list[str], max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """leaves (names, t) with the tokens to take of each, level by level from the root.
+
+    Children in order of capacity over weight take all they have while each
+    one's capacity is at most its share of what is left; the others share the
+    rest. Sums over that order say so without a loop. The windows see one row
+    for each child of a node.
+    """
+    whole = lambda c: c.cast("decimal(38,0)")
+    levels = [f"level{k}_" for k in range(len(names))]
+    plain = leaves.select(*(F.col(n).alias(x) for n, x in zip(names, levels)), F.col("t").alias("t_"))
+    total = int(plain.agg(F.sum(whole(F.col("t_")))).first()[0] or 0)
+    goal = min(budget if isinstance(budget, int) else int(total * budget), total * max_epochs)
+    above = None
+    for k, name in enumerate(levels):
+        parents = levels[:k]
+        own = weights.get(names[k], {})
+        weight = F.create_map(*(F.lit(x) for pair in own.items() for x in pair))[F.col(name)] if own else F.lit(None).cast("int")
+        nodes = plain.groupBy(*parents, name).agg((F.sum(whole(F.col("t_"))) * max_epochs).alias("c_")).withColumn("w_", F.coalesce(weight, F.lit(1)).cast("decimal(10,0)"))
+        nodes = nodes.join(above, parents) if parents else nodes.withColumn("b_", F.lit(str(goal)).cast("decimal(38,0)"))
+        order = W.partitionBy(*parents).orderBy((F.col("w_") <= 0).cast("int"), F.try_divide(F.col("c_").cast("double"), F.col("w_").cast("double")), name)
+        before = F.coalesce(whole(F.sum("c_").over(order.rowsBetween(W.unboundedPreceding, -1))), whole(F.lit(0)))
+        nodes = nodes.withColumns({"before_": before, "left_": F.sum("w_").over(order.rowsBetween(0, W.unboundedFollowing))})
+        nodes = nodes.withColumn("full_", (F.col("w_") > 0) & (F.col("c_") * F.col("left_") <= (F.col("b_") - F.col("before_")) * F.col("w_")))
+        some = lambda c, f: F.coalesce(whole(F.sum(F.when(f, F.col(c))).over(W.partitionBy(*parents))), whole(F.lit(0)))
+        nodes = nodes.withColumns({"c_full_": some("c_", F.col("full_")), "w_open_": some("w_", ~F.col("full_"))})
+        got = F.when(F.col("full_"), F.col("c_")).when(F.col("w_") > 0, F.expr("cast(floor((b_ - c_full_) * w_ / w_open_) as decimal(38,0))")).otherwise(F.lit(0))
+        above = nodes.select(*parents, name, whole(got).alias("b_"))
+    out = plain.join(above, levels)
+    return out.select(*(F.col(x).alias(n) for n, x in zip(names, levels)), F.col("t_").alias("t"), F.col("b_").cast("long").alias("budget"))
 
 
 def words_count(text: Column) -> Column:
@@ -90,22 +79,16 @@ def _key(seed: int, epoch: Column, doc_id: Column) -> Column:
 
 def plan(docs: DataFrame, levels: dict[str, Column], weights: dict, budget: float | int, seed: int = SEED, max_epochs: int = MAX_EPOCHS, tokens: Column | None = None, doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """The leaves' plan, one row each: whole epochs, and the last (key, id) of the partial one; and (id, levels, n_tokens)."""
-    spark = docs.sparkSession
     names = list(levels)
     count = tokens if tokens is not None else words_count(F.col("text"))
     rows = cut(docs.select(F.col(doc_id).alias("id"), *(F.coalesce(c.cast("string"), F.lit("und")).alias(n) for n, c in levels.items()), count.alias("n_tokens")), "tokens")
     kind = docs.schema[doc_id].dataType.simpleString()
-    have = rows.groupBy(*names).agg(F.sum("n_tokens").alias("t")).limit(MAX_LEAVES + 1).collect()
-    if len(have) > MAX_LEAVES:
-        raise ValueError(f"the tree has over {MAX_LEAVES} leaves")
-    leaves = {tuple(r[:-1]): int(r[-1]) for r in have}
-    total = sum(leaves.values())
-    goal = int(budget) if isinstance(budget, int) else int(total * budget)
-    amounts = budgets(leaves, goal, weights, names, max_epochs)
-    shape = ", ".join(f"{n} string" for n in names)
-    whole = [(*leaf, amounts[leaf] // t if t else 0, amounts[leaf] % t if t else 0, amounts[leaf]) for leaf, t in leaves.items()]
-    of_leaf = spark.createDataFrame(whole, f"{shape}, epochs long, rest long, budget long")
-    keyed = cut(rows.join(F.broadcast(of_leaf), names).withColumn("key", _key(seed, F.col("epochs"), F.col("id"))).select(*names, "id", "key", "n_tokens", "rest"), "keys")
+    leaves = cut(rows.groupBy(*names).agg(F.sum("n_tokens").alias("t")), "leaves")
+    part = lambda x: F.when(F.col("t") > 0, F.expr(x)).otherwise(F.lit(0)).cast("long")
+    own = budgets(leaves, budget, weights, names, max_epochs)
+    of_leaf = cut(own.select(*names, part("budget div t").alias("epochs"), part("budget % t").alias("rest"), "budget"), "leaf")
+    # Joins with a row for each leaf: by broadcast where that is small, as its table's size tells.
+    keyed = cut(rows.join(of_leaf, names).withColumn("key", _key(seed, F.col("epochs"), F.col("id"))).select(*names, "id", "key", "n_tokens", "rest"), "keys")
 
     def ends(at: DataFrame, slot: Column, base: str) -> DataFrame:
         """The slot of each leaf in which its budget ends, and the tokens before it."""
@@ -116,11 +99,11 @@ def plan(docs: DataFrame, levels: dict[str, Column], weights: dict, budget: floa
 
     # A leaf has at most one such slot, so these have no more rows than the tree has leaves.
     one = cut(ends(keyed, F.substring("key", 1, 2), ""), "slot").withColumnRenamed("slot", "s1")
-    inside = keyed.join(F.broadcast(one), names).where("substring(key, 1, 2) = s1")
+    inside = keyed.join(one, names).where("substring(key, 1, 2) = s1")
     two = cut(ends(inside, F.substring("key", 3, 2), "base").withColumnRenamed("slot", "s2"), "part")
     both = one.drop("base").join(two, names)
-    last = keyed.join(F.broadcast(both), names).where("substring(key, 1, 4) = concat(s1, s2)")
-    upto = F.sum("n_tokens").over(W.partitionBy(*names).orderBy("key", "id").rowsBetween(W.unboundedPreceding, 0)) + F.col("base")
+    last = keyed.join(both, names).where("substring(key, 1, 4) = concat(s1, s2)")
+    upto = F.sum("n_tokens").over(W.partitionBy(*names).orderBy("key", "id").rangeBetween(W.unboundedPreceding, 0)) + F.col("base")
     taken = last.withColumn("upto", upto).where("upto <= rest").groupBy(*names).agg(F.max(F.struct("key", F.col("id").alias("last_id"))).alias("last"))
     # No end: all of the epoch is taken. '~' follows all hexadecimal digits.
     edge = of_leaf.join(both.drop("base"), names, "left").join(taken, names, "left").select(
@@ -131,14 +114,19 @@ def plan(docs: DataFrame, levels: dict[str, Column], weights: dict, budget: floa
 
 def select(rows: DataFrame, edge: DataFrame, levels: dict[str, Column], seed: int = SEED, doc_id: str = "doc_id", epoch: str = "epoch") -> DataFrame:
     """rows once for each epoch that takes them, with that epoch's number: no shuffle, a filter by leaf."""
-    names = [f"{n}_" for n in levels]
-    of = edge.select(*(F.col(n).alias(f"{n}_") for n in levels), "epochs", "below", "last_key", "last_id")
-    named = rows.withColumns({f"{n}_": F.coalesce(c.cast("string"), F.lit("und")) for n, c in levels.items()})
-    key = _key(seed, F.col("epochs"), F.col(doc_id))
-    at = named.join(F.broadcast(of), names).withColumn("key_", key)
-    more = F.coalesce((F.col("key_") < F.col("below")) | (F.col("key_") < F.col("last_key")) | ((F.col("key_") == F.col("last_key")) & (F.coalesce(F.col(doc_id) <= F.col("last_id"), F.lit(True)))), F.lit(False))
-    times = F.col("epochs") + more.cast("long")
-    return at.where(times > 0).withColumn(epoch, F.explode(F.sequence(F.lit(0).cast("long"), times - 1))).select(*rows.columns, epoch)
+    taken = [*rows.columns, epoch, *edge.columns]
+    names = [free(f"{n}_", taken) for n in levels]
+    mark, key_, last_key, last_id, below, epochs, rest = (free(x, [*taken, *names]) for x in ("mark_", "key_", "last_key_", "last_id_", "below_", "epochs_", "rest_"))
+    of = edge.select(*(F.col(n).alias(x) for n, x in zip(levels, names)), F.col("epochs").alias(epochs), F.col("rest").alias(rest), F.col("below").alias(below), F.col("last_key").alias(last_key), F.col("last_id").alias(last_id))
+    named = rows.withColumns({x: F.coalesce(c.cast("string"), F.lit("und")) for x, c in zip(names, levels.values())})
+    at = named.join(of, names).withColumn(key_, _key(seed, F.col(epochs), F.col(doc_id)))
+    k = F.col(key_)
+    more = F.coalesce((k < F.col(below)) | (k < F.col(last_key)) | ((k == F.col(last_key)) & (F.coalesce(F.col(doc_id) <= F.col(last_id), F.lit(True)))), F.lit(False))
+    # After whole epochs with nothing left, texts without tokens don't begin another.
+    more = more & ((F.col(rest) > 0) | (F.col(epochs) == 0))
+    times = F.col(epochs) + more.cast("long")
+    new = free(epoch, rows.columns)
+    return at.where(times > 0).withColumn(mark, F.explode(F.sequence(F.lit(0).cast("long"), times - 1))).select(*rows.columns, F.col(mark).alias(new))
 
 
 def domain(source: Column) -> Column:
@@ -187,6 +175,6 @@ with d as (select doc_id, {dom} as domain, coalesce(lang, 'und') as language, co
     {_level_sql('origin', 'domain, language', 'language_x', '1')},
     plan as (select domain, language, origin, case when t > 0 then b // t else 0 end as epochs, case when t > 0 then b % t else 0 end as rest from origin_x join leaf using (domain, language, origin)),
     k as (select d.*, epochs, rest, md5('{SEED}:' || epochs || ':' || doc_id) as key from d join plan using (domain, language, origin)),
-    o as (select *, sum(n_tokens) over (partition by domain, language, origin order by key, doc_id rows unbounded preceding) as upto from k)
-select doc_id, domain, language, origin, n_tokens, unnest(range(cast(epochs + case when upto <= rest then 1 else 0 end as bigint))) as epoch from o
+    o as (select *, sum(n_tokens) over (partition by domain, language, origin order by key, doc_id) as upto from k)
+select doc_id, domain, language, origin, n_tokens, unnest(range(cast(epochs + case when upto <= rest and (rest > 0 or epochs = 0) then 1 else 0 end as bigint))) as epoch from o
 """

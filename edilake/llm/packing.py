@@ -34,7 +34,8 @@ from .common import cut, slabs, table
 from .tokens import END_ID, encoder
 
 CAPACITY = 4096
-NODES = 2_000
+#: The search looks at so many nodes, and more by so many for each length that occurs, so that several whole completions fit in.
+NODES, NODES_EACH = 2_000, 8
 #: Fillings tried for one sequence in the search.
 FILLINGS = 24
 
@@ -147,12 +148,12 @@ def fillings(counts: dict[int, int], room: int, most_waste: int, limit: int = FI
     return sorted(set(found))
 
 
-def complete(counts: dict[int, int], capacity: int, incumbent: list[Pattern], nodes: int = NODES) -> list[Pattern]:
+def complete(counts: dict[int, int], capacity: int, incumbent: list[Pattern], nodes: int | None = None) -> list[Pattern]:
     """Branch and bound; the incumbent if nothing better is found in time."""
     best, most = incumbent, sum(n for n, _ in incumbent)
     total = sum(k * n for k, n in counts.items())
     bound = lower_bound(counts, capacity)
-    many = sum(counts.values()) > 400  # then whole runs of one pattern are one step
+    nodes = NODES + NODES_EACH * len(counts) if nodes is None else nodes
     left = dict(counts)
     stack: list = []
     seen = 0
@@ -162,12 +163,21 @@ def complete(counts: dict[int, int], capacity: int, incumbent: list[Pattern], no
         left[top] -= 1
         got = fillings(left, capacity - top, (most - 1) * capacity - total - waste)
         left[top] += 1
-        return [(w, top, items) for w, items in reversed(got)]
-
-    def apply(top: int, items: tuple) -> tuple[int, tuple]:
+        # A filling as often as it goes is tried first, once after that: the search may mix them in any way.
+        out = []
+        for w, items in reversed(got):
+            times = fits(top, items)[1]
+            out += [(w, top, items, 1)] if times > 1 else []
+            out.append((w, top, items, times))
+        return out
+
+    def fits(top: int, items: tuple) -> tuple[dict[int, int], int]:
         need = dict(items)
         need[top] = need.get(top, 0) + 1
-        times = min(left[k] // n for k, n in need.items()) if many else 1
+        return need, min(left[k] // n for k, n in need.items())
+
+    def apply(top: int, items: tuple, times: int) -> tuple[int, tuple]:
+        need = fits(top, items)[0]
         for k, n in need.items():
             left[k] -= n * times
         return times, tuple(sorted(need.items(), reverse=True))
@@ -186,8 +196,8 @@ def complete(counts: dict[int, int], capacity: int, incumbent: list[Pattern], no
                     left[k] += n * times
             continue
         seen += 1
-        w, top, items = options.pop()
-        times, need = apply(top, items)
+        w, top, items, times = options.pop()
+        times, need = apply(top, items, times)
         path.append((times, need))
         spent = waste + w * times
         if not any(left.values()):
@@ -202,7 +212,7 @@ def complete(counts: dict[int, int], capacity: int, incumbent: list[Pattern], no
     return best
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[Pattern]:
+def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None = None) -> list[Pattern]:
     """Patterns that hold each length exactly counts times."""
     counts = {int(k): int(n) for k, n in counts.items() if n}
     if not counts:

@@ -41,6 +41,10 @@ SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8
 ESCAPE = 15
 
 
+#: What stands in a file for a null id; such documents come first.
+NO_ID = -(2**63)
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words, and each block's first word (with the end): all blocks advance together, word by word."""
     v = np.asarray(ids, np.uint64)
@@ -151,16 +155,16 @@ def containers(docs: DataFrame, path: str | None = None, parts: int | None = Non
     """(shard, block, ids, data) rows: shards are ranges of doc_id, containers ascend within them."""
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).where("id is not null").repartitionByRange(parts, "id").sortWithinPartitions("id")
+    ordered = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("t")).repartitionByRange(parts, "id").sortWithinPartitions("id")
 
     def run(batches):
         enc = encoder(path)
         shard = TaskContext.get().partitionId()
-        number, who, sizes, parts_, held = 0, [], [], [], 0
+        number, who, sizes, parts_, held, base = 0, [], [], [], 0, 0
 
         def flush():
             data = write_container(np.concatenate(who), np.concatenate(sizes), np.concatenate(parts_))
-            return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, number, held)] + [pa.array([data], pa.binary())], ["shard", "number", "n_ids", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, number, base, held)] + [pa.array([data], pa.binary())], ["shard", "number", "base", "n_ids", "data"])
 
         for b in batches:
             for s in slabs(b.column(1)):
@@ -177,18 +181,19 @@ def containers(docs: DataFrame, path: str | None = None, parts: int | None = Non
                     lo = hi
                     if held >= CONTAINER_IDS or lo < len(key):
                         yield flush()
-                        number, who, sizes, parts_, held = number + 1, [], [], [], 0
+                        number, who, sizes, parts_, held, base = number + 1, [], [], [], 0, base + held
         if who:
             yield flush()
 
-    return ordered.mapInArrow(run, "shard long, number long, n_ids long, data binary")
+    return ordered.mapInArrow(run, "shard long, number long, base long, n_ids long, data binary")
 
 
 def read(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document in the container files."""
-    totals = files.groupBy("shard", "number").agg(F.sum("n_ids").alias("n")).orderBy("shard", "number").collect()  # a row for each container: file metadata
+    # A container knows the ids before it in its shard; a row for each shard, of which there are as many as partitions, has the rest.
+    totals = files.groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect()
     upto = np.concatenate(([0], np.cumsum([r.n for r in totals]))) if totals else np.zeros(1)
-    shared = files.sparkSession.sparkContext.broadcast({(r.shard, r.number): int(upto[k]) for k, r in enumerate(totals)})
+    shared = files.sparkSession.sparkContext.broadcast({r.shard: int(upto[k]) for k, r in enumerate(totals)})
 
     def run(batches):
         base = shared.value
@@ -198,10 +203,10 @@ def read(files: DataFrame) -> DataFrame:
                 upto = np.concatenate(([0], np.cumsum(sizes.astype(np.int64))))
                 raw = memoryview(ids.astype("<u4").tobytes())
                 crc = [zlib.crc32(raw[4 * lo : 4 * hi]) for lo, hi in zip(upto[:-1].tolist(), upto[1:].tolist())]
-                start = upto[:-1] + base[b.column(0)[k].as_py(), b.column(1)[k].as_py()]
-                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(start), pa.array(sizes.astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                start = upto[:-1] + base[b.column(0)[k].as_py()] + b.column(1)[k].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array(who, mask=who == NO_ID), pa.array(start), pa.array(sizes.astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.select("shard", "number", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("shard", "base", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,7 +96,7 @@ class Index:
 
 def _prepare(vectors: DataFrame, key: str, column: str) -> DataFrame:
     """(id, dims, data): whole vectors as integers."""
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where("id is not null and size(v) > 0").dropDuplicates(["id"])
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where("id is not null and size(v) > 0").groupBy("id").agg(F.min("v").alias("v"))
 
     def run(batches):
         for b in batches:

@@ -10,12 +10,13 @@ swap to no term at all counts as a swap too. So a mere mention of a group
 can't carry the score.
 
 Defined cases: null, empty and wordless texts get the score of the bias alone,
-capped below the decision threshold; repeated rows score alike; no labelled
+capped below the decision threshold; repeated rows score alike, an id with two labels has the lesser; no labelled
 rows, or a single class, give score 0 everywhere; other columns don't matter.
 """
 
 from __future__ import annotations
 
+import logging
 import pickle
 
 import numpy as np
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import NON_LETTER, Slab, lower, mix, slabs, table, words
 from .lang_id import _factor, held_out
 
+log = logging.getLogger(__name__)
 BITS = 18
 LENGTH_POWER = 0.5
 LAMBDA = 4.0
@@ -121,7 +123,10 @@ def fit(texts: list[str], labels: np.ndarray, groups=IDENTITY, weight_swaps: flo
                 mentions.append((base + rr, *term[cc], nn * scale[rr]))
         base += n
     R, C, V = np.concatenate(R), np.concatenate(C), np.concatenate(V)
-    keep = evidence(R, C, y, size)[C] >= EVIDENCE
+    # Identity features stay whatever their evidence: the swaps act on their weights.
+    own_terms = np.unique(np.concatenate([_one(t) for group in groups for t in group])) if owner else np.zeros(0, np.int64)
+    keep = (evidence(R, C, y, size)[C] >= EVIDENCE) | np.isin(C, own_terms)
+    log.info("%d mentions of identity terms in %d texts", len(mentions), len(y))
     R, C, V = R[keep], C[keep], V[keep]
     used, C = np.unique(C, return_inverse=True)
     place = {int(u): i for i, u in enumerate(used)}
@@ -170,7 +175,7 @@ def score_slab(slab: Slab, w: np.ndarray, b: float) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, groups=IDENTITY, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[np.ndarray, float]:
     """Fits on a bounded sample; its ids are few, so the texts come by a broadcast join of checked size."""
-    own = labels.select(F.col(doc_id).alias("i"), F.col(label).alias("y")).where("i is not null and y in (0, 1)").dropDuplicates(["i"])
+    own = labels.select(F.col(doc_id).alias("i"), F.col(label).alias("y")).where("i is not null and y in (0, 1)").groupBy("i").agg(F.min("y").alias("y"))
     order = [F.xxhash64("i"), F.col("i")]
     picked = own.where("y = 1").orderBy(*order).limit(rows // 3).union(own.where("y = 0").orderBy(*order).limit(rows - rows // 3))
     ids = picked.collect()  # rows at most

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from edilake.llm import lang_id, mixing, quality, toxicity
 from edilake.llm.common import slabs
@@ -98,13 +99,68 @@ def brute_share(budget, children):
     return out
 
 
-def test_budgets():
+def test_budgets(spark):
     rnd = random.Random(2)
-    for _ in range(500):
-        ch = [(f"n{k}", rnd.randint(0, 5), rnd.randint(0, 100)) for k in range(rnd.randint(1, 6))]
-        b = rnd.randint(0, sum(c[2] for c in ch))
-        assert mixing.share(b, ch) == brute_share(b, ch)
+    names = ["a", "b", "c"]
+    weights = {"a": {"a0": 0, "a1": 5}, "b": {"b0": 3}, "c": {}}
+
+    def down(rows, k, amount):
+        if k == 3:
+            return {rows[0][:3]: amount}
+        below = {}
+        for r in rows:
+            below.setdefault(r[k], []).append(r)
+        got = brute_share(amount, [(n, weights[names[k]].get(n, 1), 2 * sum(r[3] for r in x)) for n, x in sorted(below.items())])
+        return {leaf: v for n, x in below.items() for leaf, v in down(x, k + 1, got[n]).items()}
+
+    for share in (0.3, 1.0, 1.7):
+        rows = [(f"a{i}", f"b{j}", f"c{k}", rnd.choice([0, 5, 40, 300])) for i in range(3) for j in range(3) for k in range(3)]
+        leaves = spark.createDataFrame(rows, "a string, b string, c string, t long")
+        total = sum(r[3] for r in rows)
+        got = {(r.a, r.b, r.c): r.budget for r in mixing.budgets(leaves, share, weights, names, 2).collect()}
+        assert got == down(rows, 0, int(total * share))
     # A short leaf's rest goes to its sibling before another domain gains.
-    leaves = {("x", "en", "a"): 10, ("x", "en", "b"): 100, ("y", "en", "c"): 200}
-    got = mixing.budgets(leaves, 100, {}, max_epochs=1)
-    assert got == {("x", "en", "a"): 10, ("x", "en", "b"): 40, ("y", "en", "c"): 50}
+    leaves = spark.createDataFrame([("x", "en", "a", 10), ("x", "en", "b", 100), ("y", "en", "c", 200)], "a string, b string, c string, t long")
+    assert sorted(r.budget for r in mixing.budgets(leaves, 100, {}, names, 1).collect()) == [10, 40, 50]
+
+
+def test_mixing_rows(spark):
+    """Nulls, empty texts, repeated rows at the end of a budget, clashing names, an empty table."""
+    rows = [(1, "a b c", "s1"), (1, "a b c", "s1"), (1, "a b c", "s1"), (1, "a b c", "s1"), (2, None, None), (3, "", "s1"), (None, "x y", "s2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "7 as epoch", "8 as key_", "9 as origin_", "'t' as t")
+    levels = {"origin": F.col("source")}
+    edge, _ = mixing.plan(df.where("doc_id = 1"), levels, {}, 7, max_epochs=1)
+    assert mixing.select(df.where("doc_id = 1"), edge, levels).count() == 0  # four equal rows of 12 tokens don't fit in 7
+    edge, _ = mixing.plan(df, levels, {}, 1.0, max_epochs=1)
+    got = mixing.select(df, edge, levels)
+    assert got.columns == [*df.columns, "epoch_"]
+    out = got.collect()
+    assert sorted((r.doc_id or 0) for r in out) == [0, 1, 1, 1, 1, 2, 3] and {(r.epoch, r.key_, r.origin_, r.epoch_) for r in out} == {(7, 8, 9, 0)}
+    edge, _ = mixing.plan(df.limit(0), levels, {}, 1.0)
+    assert mixing.select(df.limit(0), edge, levels).count() == 0
+
+
+def test_toxicity_rows_and_swaps(spark):
+    """Planted mentions: toxic texts name one group; swaps keep the mere mention from counting, without them it counts."""
+    rnd = random.Random(9)
+    plain = [f"w{k}" for k in range(60)]
+    texts, labels = [], []
+    for k in range(600):
+        bad = k % 3 == 0
+        words = [rnd.choice(plain) for _ in range(12)] + (["vile"] if bad and rnd.random() < 0.6 else [])
+        words += ["muslims"] if rnd.random() < (0.7 if bad else 0.05) else []
+        texts.append(" ".join(words))
+        labels.append(int(bad))
+    (neutral,) = slabs(pa.array(["the muslims w1 w2 w3 w4", "the w9 w1 w2 w3 w4"]))
+    gap = {}
+    for strength in (0.0, 40.0):
+        a, b = toxicity.score_slab(neutral, *toxicity.fit(texts, np.array(labels), weight_swaps=strength))
+        gap[strength] = a - b
+    assert gap[0.0] > 0.1 and abs(gap[40.0]) < gap[0.0] / 3
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(900, None), (901, ""), (902, "vile " * 50_000), (902, "vile " * 50_000), (None, "w1")], "doc_id long, text string").selectExpr("*", "1 as score", "2 as y")
+    marks = spark.createDataFrame([(k, y) for k, y in enumerate(labels)] + [(0, 0), (1, None)], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.train(docs, marks)).collect()
+    assert len(got) == 605 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
+    by = {r.doc_id: r.predicted for r in got}
+    assert by[900] == by[901] == 0
+    assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), marks)).count() == 0
