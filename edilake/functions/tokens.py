@@ -13,12 +13,14 @@ NAMESPACES = (
     "patient_id", "member_id", "provider_id", "claim_id", "payer_claim_control_number", "payer_id", "patient_name",
     "member_name", "provider_name", "payer_name", "entity_name", "member_dob", "reference_id", "unknown",
 )
-#: For tests and development only; production sets EDILAKE_TOKEN_KEY or passes a key.
-DEV_KEY = "edilake-dev-token-key"
 
 
 def token_key() -> str:
-    return os.environ.get("EDILAKE_TOKEN_KEY") or DEV_KEY
+    """The key of the deployment: no default, as a printed key would protect nothing."""
+    key = os.environ.get("EDILAKE_TOKEN_KEY")
+    if not key:
+        raise ValueError("EDILAKE_TOKEN_KEY is not set, and no key was passed")
+    return key
 
 
 def token(namespace: str | Column, raw: Column, key: str | None = None) -> Column:

@@ -105,6 +105,7 @@ def fold(events: DataFrame, keys: list[str]) -> DataFrame:
         _list(dtm & (number != ""), drop=F.col("drop"), number=number, value=p("date_value")).alias("remitted_dates"),
         _list(cas & (number != ""), drop=F.col("drop"), number=number, group=p("adjustment_group_code"), reason_codes=F.col("arrays")["reason_codes"], amounts=F.col("arrays")["amounts"], quantities=F.col("arrays")["quantities"]).alias("line_adjustments"),
         F.array_sort(F.collect_set("event_id")).alias("applied_event_ids"),
+        *([] if "version" in keys else [F.max("version").alias("version")]),
     )
 
 
@@ -175,9 +176,7 @@ def _shape(claims: DataFrame) -> DataFrame:
 def latest(journal: DataFrame) -> DataFrame:
     """Each claim as all of the journal leaves it, with its version number."""
     events = versioned(claim_events(journal))
-    got = match_lines(fold(events, ["claim_key"]))
-    counts = events.groupBy("claim_key").agg(F.max("version").alias("version"))
-    return _shape(got.join(counts, "claim_key"))
+    return _shape(match_lines(fold(events, ["claim_key"])))
 
 
 def versions(journal: DataFrame) -> DataFrame:

@@ -320,6 +320,10 @@ def map_837(segs: DataFrame, phi: Phi) -> DataFrame:
 def journal_events(segs: DataFrame, include_phi: bool = False, key: str | None = None, run_id: str | None = None, kinds: tuple = ("270", "271", "834", "835", "837")) -> DataFrame:
     """The journal's rows for segments of any mix of types, numbered within each document."""
     phi, out = Phi(include_phi, key), None
+    known = ("270", "271", "834", "835", "837")
+    # A segment of a type without a mapper is an error, not a silent gap.
+    odd = F.concat(F.lit("unsupported transaction type "), F.col("source_transaction"))
+    segs = segs.withColumn("source_transaction", F.when(F.col("source_transaction").isin(*known), F.col("source_transaction")).otherwise(F.raise_error(odd)))
     for kind in kinds:
         own = segs.where(F.col("source_transaction") == kind)
         got = {"834": map_834, "835": map_835, "837": map_837}[kind](own, phi) if kind[0] == "8" else map_27x(own, phi, kind)
@@ -328,7 +332,9 @@ def journal_events(segs: DataFrame, include_phi: bool = False, key: str | None =
     seq = F.row_number().over(W.partitionBy("source_file", "source_transaction").orderBy("trigger", "emitted")).cast("long")
     segment_id = F.concat_ws("/", "source_transaction", "source_file")
     out = out.withColumn("seq", seq).withColumn("segment_id", segment_id)
+    # 128 bits; the drop is part of it, as another file may come under a name that was there before.
+    name = F.md5(F.concat_ws("|", "segment_id", F.col("seq").cast("string"), F.coalesce(drop, F.lit(""))).cast("binary"))
     return out.select(
-        "segment_id", "seq", F.concat(F.lit("ev:"), F.lower(F.lpad(F.hex(F.xxhash64("segment_id", "seq")), 16, "0"))).alias("event_id"), "event_type", "source_file", "source_transaction", "input_ordinal",
+        "segment_id", "seq", F.concat(F.lit("ev:"), name).alias("event_id"), "event_type", "source_file", "source_transaction", "input_ordinal",
         drop.alias("source_drop_id"), F.lit(run_id).cast("string").alias("run_id"), "source_segment_index", "source_byte_offset", "isa13", "gs06", "st02", "payload", "arrays",
     )

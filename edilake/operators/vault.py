@@ -15,14 +15,23 @@ def observations(events: DataFrame, key: str | None = None) -> DataFrame:
     their own token and under the token of the identifier beside them.
     """
     p = F.col("payload")
-    who = F.when(F.col("event_type").isin("ClaimReferencedPatient", "RemittanceClaimReferencedPatient"), "patient").when(
-        F.col("event_type").isin("ClaimReferencedSubscriber", "RemittanceClaimReferencedSubscriber", "MemberReferenced"), "member").when(F.col("event_type").startswith("ClaimReferenced"), "provider").otherwise("member")
-    fields = {"claim_id": F.lit("claim_id"), "payer_claim_control_number": F.lit("payer_claim_control_number"), "id_value": F.concat(who, F.lit("_id")), "date_of_birth": F.lit("member_dob"), "reference_identification": F.lit("reference_id"), "insured_group_or_policy_number": F.lit("reference_id")}
+    kind, code = F.col("event_type"), p["entity_identifier_code"]
+    who = (
+        F.when(kind.isin("ClaimReferencedPatient", "RemittanceClaimReferencedPatient"), "patient")
+        .when(kind.isin("ClaimReferencedSubscriber", "RemittanceClaimReferencedSubscriber", "MemberReferenced"), "member")
+        .when(kind == "RemittancePartyReferenced", F.when(code == "PE", "provider").when(code == "PR", "payer").otherwise("unknown"))
+        .when(kind.endswith("PartyReferenced"), F.when(p["payer_id_token"].isNotNull(), "payer").when(p["provider_id_token"].isNotNull(), "provider").when(p["member_id_token"].isNotNull(), "member").otherwise("unknown"))
+        .when(kind.startswith("ClaimReferenced"), "provider")
+        .otherwise("member")
+    )
+    id_space = F.when(who == "unknown", "unknown").otherwise(F.concat(who, F.lit("_id")))
+    fields = {"claim_id": F.lit("claim_id"), "payer_claim_control_number": F.lit("payer_claim_control_number"), "id_value": id_space, "date_of_birth": F.lit("member_dob"), "reference_identification": F.lit("reference_id"), "insured_group_or_policy_number": F.lit("reference_id")}
     one = lambda ns, t, raw: F.struct(ns.alias("namespace"), t.alias("token"), raw.alias("raw_value"))
     ids = [one(ns, p[f"{f}_token"], p[f]) for f, ns in fields.items()]
-    name = F.concat_ws("|", F.when(p["last_name_or_org"] != "", p["last_name_or_org"]), F.when(p["first_name"] != "", p["first_name"]))
-    space = F.concat(who, F.lit("_name"))
-    names = [one(space, token(space, name, key), name), one(F.concat(who, F.lit("_id_name")), p["id_value_token"], name)]
+    person = F.concat_ws("|", F.when(p["last_name_or_org"] != "", p["last_name_or_org"]), F.when(p["first_name"] != "", p["first_name"]))
+    name = F.when(p["name"].isNotNull(), p["name"]).otherwise(person)
+    space = F.when(who == "unknown", "entity_name").otherwise(F.concat(who, F.lit("_name")))
+    names = [one(space, token(space, name, key), name), one(F.concat(id_space, F.lit("_name")), p["id_value_token"], name)]
     rows = events.select("source_drop_id", F.struct("input_ordinal", "source_file", "seq").alias("ord"), F.explode(F.array(*ids, *names)).alias("x"))
     return rows.select("x.namespace", "x.token", "x.raw_value", "source_drop_id", "ord").where("token <> '' and raw_value <> ''")
 

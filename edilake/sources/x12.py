@@ -52,13 +52,12 @@ def read_list(spark: SparkSession, path: str) -> list[str]:
 
 
 def relative(path: Column, root: str | None) -> Column:
-    """The path below the root with forward slashes, else the file's name."""
+    """The path below the root with forward slashes; else the whole path, as files of one name in two folders are two documents."""
     plain = F.regexp_replace(F.regexp_replace(path, r"^file:/*", "/"), r"\\", "/")
-    name = F.element_at(F.split(plain, "/"), -1)
     if not root:
-        return name
+        return plain
     base = root.rstrip("/") + "/"
-    return F.when(plain.startswith(base) & ~plain.contains("/../"), F.substring(plain, F.lit(len(base) + 1), F.length(plain))).otherwise(name)
+    return F.when(plain.startswith(base) & ~plain.contains("/../"), F.substring(plain, F.lit(len(base) + 1), F.length(plain))).otherwise(plain)
 
 
 def with_delimiters(docs: DataFrame) -> DataFrame:

@@ -177,3 +177,52 @@ def test_second_delimiters(spark):
     a = x12.segments(documents(spark, ("o", "271", odd)))
     assert a.count() == x12.segments(documents(spark, ("o", "271", ANSWER))).count() and a.first().component == ">"
     assert PAYMENT.count("~") == x12.segments(documents(spark, ("p", "835", PAYMENT))).count()
+
+
+def test_two_files_of_one_name(spark, tmp_path):
+    """Documents are told apart by their whole path, or by their path below the root."""
+    for folder, text in (("x", ENROL), ("y", ENROL.replace("000000013", "000000099"))):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "a.edi").write_text(text)
+    paths = {"834": [str(tmp_path / "x"), str(tmp_path / "y")]}
+    for root, names in ((None, {str(tmp_path / "x" / "a.edi"), str(tmp_path / "y" / "a.edi")}), (str(tmp_path), {"x/a.edi", "y/a.edi"})):
+        docs = x12.read_files(spark, paths, root)
+        assert {r.source_file for r in docs.collect()} == names
+        assert x12.errors(docs).count() == 0
+        got = journal_events(x12.parse(docs))
+        assert got.count() == got.select("event_id").distinct().count() == 2 * journal_events(x12.parse(documents(spark, ("a.edi", "834", ENROL)))).count()
+
+
+def test_names_and_ids_are_held_by_role(raw_events):
+    held = vault.mappings(vault.observations(raw_events))
+    events = raw_events.where("event_type like '%PartyReferenced'").selectExpr("payload['payer_id'] as id", "payload['payer_id_token'] as t").where("id <> ''")
+    events = events.union(raw_events.where("event_type = 'RemittancePartyReferenced' and payload['entity_identifier_code'] = 'PR'").selectExpr("payload['id_value']", "payload['id_value_token']")).where("id <> ''").distinct()
+    assert events.count() > 0
+    assert events.join(held.where("namespace = 'payer_id'"), (F.col("t") == F.col("token")) & (F.col("id") == F.col("raw_value"))).count() == events.count()
+    assert held.where("namespace = 'member_id'").join(events, F.col("id") == F.col("raw_value"), "left_semi").count() == 0
+
+
+def test_a_type_without_mapper_is_an_error(spark, events):
+    odd = x12.parse(documents(spark, ("a.edi", "834", ENROL))).withColumn("source_transaction", F.concat(F.lit("99"), F.substring("source_file", 1, 1)))
+    with pytest.raises(Exception, match="unsupported transaction type 99a"):
+        journal_events(odd).collect()
+
+
+def test_tokens_need_a_key(monkeypatch):
+    monkeypatch.delenv("EDILAKE_TOKEN_KEY")
+    with pytest.raises(ValueError, match="EDILAKE_TOKEN_KEY"):
+        tokens.token_key()
+
+
+def test_manifests_are_never_replaced(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"))
+    assert s.manifest() == {}
+    s.publish({"t": spark.range(2)})
+    late = store.Store(spark, str(tmp_path / "s"))
+    s.publish({"t": spark.range(5)})
+    assert late.table("t").count() == 5
+    late._last = lambda: 1
+    with pytest.raises(RuntimeError, match="CONFLICT"):
+        late.publish({"t": spark.range(1)})
+    del late._last
+    assert late.table("t").count() == 5
