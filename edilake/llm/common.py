@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLAB_BYTES = 4 << 20
@@ -188,17 +188,21 @@ def free(name: str, columns: list[str]) -> str:
 def marked_in(rows: DataFrame, key: str, ids: DataFrame, mark: str) -> DataFrame:
     """rows with the new column mark: whether the key may be among the ids (one column).
 
-    The ids set bits of a bitmap of 2**23 by hash: 256 rows of 4 kB at most,
-    however many ids, so it may be broadcast. It errs only by saying maybe.
+    The ids set bits of a bitmap of 2**23 by hash: 131,072 rows of one long each at
+    most, however many ids, so it may be broadcast. It errs only by saying maybe.
     """
 
-    own = F.pmod(F.xxhash64(F.col(ids.columns[0])), F.lit(1 << 23))
-    maps = ids.groupBy(F.shiftright(own, 15).alias("in_bucket_")).agg(F.bitmap_construct_agg(own.bitwiseAND(F.lit(32_767))).alias("in_map_"))
-    found = rows.withColumn("in_place_", F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 23)))
-    found = found.join(F.broadcast(maps), F.shiftright("in_place_", 15) == F.col("in_bucket_"), "left")
-    at = F.col("in_place_").bitwiseAND(F.lit(32_767)).cast("int")
-    byte = F.conv(F.hex(F.substring("in_map_", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit = F.call_function("shiftright", byte, at % 8).bitwiseAND(F.lit(1))
+    def spot(c: str) -> tuple[Column, Column]:
+        place = F.pmod(F.xxhash64(F.col(c)), F.lit(1 << 23))
+        return F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
+
+    word, at = spot(ids.columns[0])
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), at)
+    maps = ids.groupBy(word.alias("in_word_")).agg(F.bit_or(one).alias("in_map_"))
+    word, at = spot(key)
+    found = rows.withColumn("in_place_", word).withColumn("in_at_", at)
+    found = found.join(F.broadcast(maps), F.col("in_place_") == F.col("in_word_"), "left")
+    bit = F.call_function("shiftright", F.col("in_map_"), F.col("in_at_")).bitwiseAND(F.lit(1).cast("long"))
     return found.select(*rows.columns, (F.col(key).isNotNull() & F.coalesce(bit == 1, F.lit(False))).alias(mark))
 
 

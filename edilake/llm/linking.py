@@ -48,8 +48,10 @@ def link(members: DataFrame, attributes: list[str], fits: Callable[[str, str], C
     step = 0
     while True:
         draw = F.xxhash64("node", F.lit(max(step, 1)))
-        spans = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.min_by(F.struct(*own, "c"), draw).alias("p")).where("lo <> hi").drop("lo", "hi")
-        spans = cut(spans, "spans")
+        # Column by column, as a struct's least one would need a sort; the draw has no ties.
+        first = [F.min_by(x, draw).alias(x) for x in (*own, "c")]
+        spans = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), *first).where("lo <> hi")
+        spans = cut(spans.select("key", "m", F.struct(*own, "c").alias("p")), "spans")
         if spans.isEmpty():
             drop_cut(spans)
             break
@@ -65,7 +67,7 @@ def link(members: DataFrame, attributes: list[str], fits: Callable[[str, str], C
             of = now.join(picked, "key")
         pairs = of.where((F.col("c") != F.col("p.c")) & fits("", "p.")).select(F.col("p.node").alias("a"), F.col("node").alias("b"), F.col("p.c").alias("ca"), F.col("c").alias("cb"))
         if step == 0:
-            pairs = pairs.groupBy("b").agg(F.min(F.struct("a", "ca")).alias("one"), F.first("cb").alias("cb")).select("one.a", "b", "one.ca", "cb")
+            pairs = pairs.groupBy("b").agg(F.min("a").alias("a_"), F.min_by("ca", "a").alias("ca"), F.min("cb").alias("cb")).select(F.col("a_").alias("a"), "b", "ca", "cb")
         else:
             # Two pivots of a bucket meet once.
             turn = lambda x, y: F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y))
