@@ -21,7 +21,8 @@ gives no pieces; columns besides the id and the text don't matter.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -87,15 +88,18 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """Whole sequences the tokens need, and those that pieces over half a sequence need."""
-    total = sum(k * n for k, n in counts.items())
-    best = -(-total // capacity)
-    for cutoff in sorted({k for k in counts if 2 * k <= capacity} | {0}):
+    lengths = sorted(counts)
+    pieces = [0, *accumulate(counts[k] for k in lengths)]
+    tokens = [0, *accumulate(k * counts[k] for k in lengths)]
+    best = -(-tokens[-1] // capacity)
+    half = bisect_right(lengths, capacity // 2)
+    for at, cutoff in enumerate([0, *lengths[:half]]):
         # Pieces over capacity - cutoff take a sequence alone, as no counted piece fits beside them.
-        alone = sum(n for k, n in counts.items() if k > capacity - cutoff)
-        large = {k: n for k, n in counts.items() if capacity - cutoff >= k > capacity / 2}
-        rest = sum(k * n for k, n in counts.items() if capacity / 2 >= k >= cutoff)
-        room = sum((capacity - k) * n for k, n in large.items())
-        best = max(best, alone + sum(large.values()) + max(0, -(-(rest - room) // capacity)))
+        top = max(half, bisect_right(lengths, capacity - cutoff))
+        over = pieces[-1] - pieces[half]
+        room = (pieces[top] - pieces[half]) * capacity - (tokens[top] - tokens[half])
+        rest = tokens[half] - tokens[max(0, at - 1)]
+        best = max(best, over + max(0, -(-(rest - room) // capacity)))
     return best
 
 
@@ -109,8 +113,10 @@ def fillings(counts: dict[int, int], room: int, most_waste: int, limit: int = FI
 
     def dominated(items: tuple, waste: int) -> bool:
         used = dict(items)
-        for k in lengths:
-            if k <= waste and counts[k] > used.get(k, 0):
+        for k in ascending:
+            if k > waste:
+                break
+            if counts[k] > used.get(k, 0):
                 return True  # another piece still fits
         for have, _ in items:
             k = bisect_left(ascending, have + waste + 1) - 1
