@@ -36,7 +36,7 @@ from .tokens import END_ID, encoder
 
 CAPACITY = 4096
 #: The search looks at so many nodes, and more by so many for each length that occurs, so that several whole completions fit in.
-NODES, NODES_EACH = 2_000, 8
+NODES, NODES_EACH = 2_000, 2
 #: Fillings tried for one sequence in the search.
 FILLINGS = 24
 
