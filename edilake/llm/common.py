@@ -48,7 +48,7 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Writes df to a table in the shared folder and reads it back: lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
